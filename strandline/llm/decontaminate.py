@@ -55,7 +55,7 @@ def _fingerprints(rows: DataFrame, short: list[int], own_length_only: bool) -> D
     return rows.drop("grams")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, with_mark: bool = False) -> DataFrame:
     """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one for each row of
     ``docs`` (doc_id, text) against ``benchmark`` (item_id, text).
 
@@ -66,7 +66,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts have no words; an item without words has no window.  Repeated rows are
     all returned; rows with equal ids and different texts are told apart.  With an empty benchmark
-    nothing is hit.  Other columns are not read.
+    nothing is hit.  Other columns are not read.  ``with_mark`` adds ``mark``, the text's xxhash64.
     """
     items = materialise(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text").cast("string")).alias("words")).withColumn("n", F.size("words")).where("n > 0"), "items")
     short = sorted(r[0] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())  # WINDOW - 1 numbers at most
@@ -107,4 +107,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        *(["d.mark"] if with_mark else []),
     )

@@ -106,13 +106,23 @@ def measure(chunk: Chunk) -> dict[str, np.ndarray]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows' structs as they are, with the measurements of the ``text`` in them."""
     for batch in batches:
-        texts = batch.schema.get_field_index("text")
-        for chunk in chunks(batch.column(texts)):
+        row = batch.column(0)
+        for chunk in chunks(row.field("text")):
             m = measure(chunk)
-            part = batch.slice(chunk.first, len(chunk.starts) - 1)
-            kept = [(part.column(k), part.schema.names[k]) for k in range(part.num_columns) if k != texts]
-            yield pa.RecordBatch.from_arrays([c for c, _ in kept] + [pa.array(m[k].astype(np.int64)) for k in _MEASURES], names=[n for _, n in kept] + list(_MEASURES))
+            part = row.slice(chunk.first, len(chunk.starts) - 1)
+            yield pa.RecordBatch.from_arrays([part, *(pa.array(m[k].astype(np.int64)) for k in _MEASURES)], names=["row", *_MEASURES])
+
+
+def _with_bits(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``rows`` as a struct, their measurements and failure bits."""
+    if len(rules) > 62:
+        raise ValueError("a ledger holds at most 62 rules")
+    packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"))
+    shape = f"row {packed.schema['row'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in _MEASURES)
+    bits = sum((F.when(F.expr(rule.fails), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, rule in enumerate(rules)), F.lit(0).cast("long"))
+    return packed.mapInArrow(_measured, shape).withColumn("fail_bits", bits)
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -121,12 +131,8 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Words are runs of anything but blanks.  A null or empty text has no words, lines or symbols.
     Repeated rows are measured each; other columns are not read; an empty table gives no rows.
     """
-    if len(rules) > 62:
-        raise ValueError("a ledger holds at most 62 rules")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in _MEASURES)
-    bits = sum((F.when(F.expr(rule.fails), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, rule in enumerate(rules)), F.lit(0).cast("long"))
-    return rows.mapInArrow(_measured, shape).withColumn("fail_bits", bits)
+    return _with_bits(rows, rules).select("row.doc_id", *_MEASURES, "fail_bits")
 
 
 def mask(policy: str | tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> int:
@@ -158,3 +164,9 @@ def ablation(rows: DataFrame, policy: str | tuple[str, ...], rules: tuple[Rule,
 def judged(docs: DataFrame, policy: str = "corpus-1") -> DataFrame:
     """The ledger with ``base_failed`` and ``kept``: the base rules and the policy's verdict."""
     return ledger(docs).withColumn("base_failed", ~passes("base-1")).withColumn("kept", passes("base-1") & passes(policy))
+
+
+def kept(docs: DataFrame, policy: str = "corpus-1") -> DataFrame:
+    """The rows of ``docs`` that pass the base rules and the policy, with all their columns."""
+    passed = _with_bits(docs, RULES).where(passes("base-1") & passes(policy))
+    return passed.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

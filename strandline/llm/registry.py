@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_main, ngram_join, packing, pii, quality, sharding, suffix_dedup, token_count
+from . import decontaminate, html_main, license_scan, ngram_join, packing, pii, quality, sharding, suffix_dedup, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -51,21 +55,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        f.__name__: f
-        for f in (
-            op2_pii,
-            op3_token_counts,
-            op4_html_extraction,
-            op5_ngram_jaccard_join,
-            op6_benchmark_decontamination,
-            op7_sharding,
-            op8_suffix_array_dedup,
-            op9_quality_rules,
-            op10_best_fit_packing,
-        )
-    }
+    import corpus_pipeline
+
+    operators = (
+        op1_license_scan,
+        op2_pii,
+        op3_token_counts,
+        op4_html_extraction,
+        op5_ngram_jaccard_join,
+        op6_benchmark_decontamination,
+        op7_sharding,
+        op8_suffix_array_dedup,
+        op9_quality_rules,
+        op10_best_fit_packing,
+    )
+    return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": license_scan.license_scan_sql()}
