@@ -10,10 +10,12 @@ runs of equal sequences, is applied to every piece by its rank within its length
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from struct import pack as pack_ids
 from typing import NamedTuple
 
 import numpy as np
@@ -23,21 +25,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialise
+from .token_count import byte_symbols
 
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+#: Parts of texts whose ids a worker remembers.
+CACHE_PARTS = 150_000
 #: Buckets into which the pieces of one length are dealt to be ranked, so that no length is one task.
 RANK_BUCKETS = 1024
 
 
-class _Remembered(dict):
-    def __init__(self, make, most: int) -> None:
+class _Recent(dict):
+    """Made values of the keys asked for of late: when full, the half not asked for again goes."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.before = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
-        found = self.make(key)
+        found = self.before.get(key)
+        if found is None:
+            found = self.make(key)
         if len(self) >= self.most:
+            self.before = dict(self)
             self.clear()
         self[key] = found
         return found
@@ -47,33 +55,56 @@ class Encoder:
     """The ids of a text, as its library gives them, as little-endian 32-bit bytes.
 
     Where the vocabulary's pre-tokenizer drops white space, no pre-token spans a blank, so that
-    ids are looked up word by word; texts for which that isn't certain go through the library.
+    ids are looked up word by word; of plain texts, whose case and marks are simple, words and
+    marks are looked up apart.  A text for which that isn't certain goes through the library.
     """
 
-    _PLAIN = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
-
-    def __init__(self, file: bytes, most: int = CACHE_WORDS) -> None:
-        import json
+    _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    #: Characters that NFC leaves alone and whose lower case is one character everywhere.
+    _SIMPLE = r"\x21-\x7e\u00c0-\u012f\u0132-\u017f"
+    _MARKS = r"!-/:-@\[-`{-~\u00d7\u00f7"
 
+    def __init__(self, file: bytes, most: int = CACHE_PARTS) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(file.decode())
         spec = json.loads(file)
-        added = [t["content"] for t in spec["added_tokens"]]
-        splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        self.by_word = spec["normalizer"] == self._PLAIN and splits[0].get("behavior") == "Removed" and splits[0].get("invert") is True and not splits[-1].get("add_prefix_space", True)
-        self.special = regex.compile("|".join([*map(regex.escape, added), r"[\x1c-\x1f᠎​]"]))
-        self.word = _Remembered(self.whole, most).__getitem__
+        cut, *coded = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        by_bytes = len(coded) == 1 and coded[0].get("type") == "ByteLevel" and not coded[0].get("add_prefix_space") and not coded[0].get("use_regex")
+        self.by_word = spec["normalizer"] == self._NORMALIZER and cut.get("behavior") == "Removed" and cut.get("invert") is True and by_bytes
+        if self.by_word:
+            self.pieces = regex.compile(cut["pattern"]["Regex"]).findall
+            self.simple = regex.compile(f"[{self._SIMPLE}]+").fullmatch
+            self.uneven = regex.compile(rf"[^\x09-\x0d\x20{self._SIMPLE}]|[,.][{self._MARKS}]|[{self._MARKS}][,.]").search
+            self.odd = regex.compile("|".join([*(regex.escape(t["content"]) for t in spec["added_tokens"]), r"[\x1c-\x1f\u180e\u200b]"])).search
+            self.bytes = str.maketrans({b: s for b, s in enumerate(byte_symbols())})
+            self.tokenize = self.library.model.tokenize
+            self.part = _Recent(self._part, most).__getitem__
+            self.word = _Recent(self._word, most).__getitem__
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _part(self, part: str) -> bytes:
+        """Of a lower-case word of simple characters."""
+        if not part.isalpha():
+            cut = self.pieces(part)
+            if len(cut) > 1:
+                return b"".join(map(self.part, cut))
+        ids = [t.id for t in self.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes))]
+        return pack_ids(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        return self.part(word.lower()) if self.simple(word) else self.whole(word)
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_word or self.special.search(text):
+        if not self.by_word or self.odd(text):
             return self.whole(text)
-        return b"".join(map(self.word, text.split()))
+        if self.uneven(text):
+            return b"".join(map(self.word, text.split()))
+        return b"".join(map(self.part, text.lower().replace(",", " ,").replace(".", " .").split()))
 
 
 @lru_cache(maxsize=2)

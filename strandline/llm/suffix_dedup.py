@@ -36,6 +36,8 @@ from .textnum import Chunk, _codes, _powers, chunks, mix
 
 K = 20
 BLOCK_BYTES = 2 << 20
+#: Windows put in suffix order at a time, beyond which a task goes on with the next keys.
+WINDOWS_AT_ONCE = 1 << 17
 
 _SENT = "piece int, block long, kind int, ids binary, a binary, b binary, c binary, d binary, e binary"
 _SENT_ARROW = pa.schema([("piece", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), *((n, pa.binary()) for n in ("ids", "a", "b", "c", "d", "e"))])
@@ -229,7 +231,7 @@ def _deal_bytes(size: int, pieces: int):
                     if later.any():
                         spans = np.stack([begin[later], begin[later] + (to - at)[later]], 1).astype(np.int32)
                         rows.append((block % pieces, block, _FOUND, None, who[later].astype(np.int32).tobytes(), spans.tobytes(), None, None, None))
-                    at, to, key, who, begin = at[~later], to[~later], key[~later], who[~later], begin[~later]
+                    at, to, key, who, begin, same = at[~later], to[~later], key[~later], who[~later], begin[~later], same[~later]
                     where = np.concatenate(([0], np.searchsorted(key, cuts), [len(key)]))
                     long = to - at
                     spots = np.repeat(at - np.concatenate(([0], np.cumsum(long)[:-1])), long) + np.arange(long.sum())
@@ -237,7 +239,7 @@ def _deal_bytes(size: int, pieces: int):
                     ends = np.concatenate(([0], np.cumsum(long)))
                     for k, (lo, hi) in enumerate(zip(where[:-1], where[1:], strict=True)):
                         if hi > lo:
-                            rows.append((k, block, _DEALT, who[lo:hi].astype(np.int32).tobytes(), key[lo:hi].tobytes(), ids[who[lo:hi]].tobytes(), begin[lo:hi].astype(np.int32).tobytes(), long[lo:hi].astype(np.int32).tobytes(), text[ends[lo] : ends[hi]].tobytes()))
+                            rows.append((k, block, _DEALT, who[lo:hi].astype(np.int32).tobytes(), key[lo:hi].tobytes() + same[lo:hi].tobytes(), ids[who[lo:hi]].tobytes(), begin[lo:hi].astype(np.int32).tobytes(), long[lo:hi].astype(np.int32).tobytes(), text[ends[lo] : ends[hi]].tobytes()))
                 yield _batch(rows, _SENT_ARROW)
 
     return run
@@ -284,15 +286,13 @@ def _find_earlier(size: int):
         who = [np.frombuffer(r["ids"], np.int32) for r in dealt]
         source = np.repeat(np.arange(len(dealt)), [len(w) for w in who])
         who = np.concatenate(who)
-        key = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in dealt])
+        both = [np.frombuffer(r["a"], np.uint64).reshape(2, -1) for r in dealt]
+        key, same = (np.concatenate([b[k] for b in both]) for k in (0, 1))
         ids = np.concatenate([np.frombuffer(r["b"], np.int64) for r in dealt])
         begin = np.concatenate([np.frombuffer(r["c"], np.int32) for r in dealt])
         long = np.concatenate([np.frombuffer(r["d"], np.int32) for r in dealt]).astype(np.int64)
         data = np.concatenate([np.frombuffer(r["e"], np.uint8) for r in dealt])
         at = np.concatenate(([0], np.cumsum(long)[:-1]))
-        power, inverse = _powers(len(data) + 1)
-        total = np.concatenate(([np.uint64(0)], np.cumsum(_codes(False)[data] * power[: len(data)])))
-        same = mix((total[at + long] - total[at]) * inverse[at] + long.astype(np.uint64))
         # Runs equal as a whole: all but the first document's go.
         order = np.lexsort((ids, same, key))
         fresh = np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (same[order][1:] != same[order][:-1])))
@@ -304,12 +304,24 @@ def _find_earlier(size: int):
         group, start = _groups(key[kinds])
         some = np.bincount(group)[group] > 1
         rep = kinds[some]
-        windows = long[rep] - size + 1
-        spot = np.repeat(at[rep] - np.concatenate(([0], np.cumsum(windows)[:-1])), windows) + np.arange(windows.sum())
         gone = np.zeros(len(data) + 1, bool)
-        if len(rep):
+        windows = long[rep] - size + 1
+        # Equal windows have one key, so whole keys are put in order apart, some windows at a time.
+        cuts = np.flatnonzero(np.diff(key[rep])) + 1 if len(rep) else rep
+        upto = np.cumsum(windows)
+        lo = 0
+        while lo < len(rep):
+            far = np.searchsorted(upto, (upto[lo - 1] if lo else 0) + WINDOWS_AT_ONCE, "right")
+            later_cuts = cuts[cuts > lo]
+            within = later_cuts[later_cuts <= far]
+            hi = int(within[-1]) if len(within) else int(later_cuts[0]) if len(later_cuts) else len(rep)
+            if far >= len(rep):
+                hi = len(rep)
+            own, count = rep[lo:hi], windows[lo:hi]
+            spot = np.repeat(at[own] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
             view = np.lib.stride_tricks.sliding_window_view(data, size)
-            gone[spot] = earlier_factors(view[spot], np.repeat(ids[rep], windows), size)
+            gone[spot] = earlier_factors(view[spot], np.repeat(ids[own], count), size)
+            lo = hi
         # A document's other runs of a kind fare as the one that was sorted.
         kind_of = np.empty(len(ids), np.int64)
         kind_of[order] = np.cumsum(fresh) - 1
