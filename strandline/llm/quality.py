@@ -32,15 +32,18 @@ RULES = (
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 30 * n_words"),
     Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
     Rule("few_letters", "10 * n_letters < 3 * word_chars"),
+    Rule("many_symbols", "10 * n_symbols > n_words"),
+    Rule("adjacent_words", "5 * n_adjacent > n_words"),
 )
 
 #: Name of a policy version -> the rules whose failure rejects a text.
 POLICIES = {
     "base-1": ("few_words", "repeated_words"),
-    "corpus-1": tuple(rule.name for rule in RULES),
+    "corpus-1": ("few_words", "repeated_words", "mostly_symbols", "word_length", "repeated_lines", "few_letters"),
+    "corpus-2": ("few_words", "repeated_words", "word_length", "repeated_lines", "few_letters", "many_symbols", "adjacent_words"),
 }
 
-_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters")
+_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_adjacent")
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[0x0A] = True
 _SYMBOL = np.zeros(256, bool)
@@ -84,6 +87,7 @@ def measure(chunk: Chunk) -> dict[str, np.ndarray]:
     _, later = _repeats(lines.hash[worded], line_of)
 
     word_of = np.repeat(text_of, n_words)
+    again = (found.hash[1:] == found.hash[:-1]) & (word_of[1:] == word_of[:-1])
     repeated = np.zeros(len(word_of), np.int64)
     grams = ngrams(found.hash, _WINDOW)
     if len(grams):
@@ -102,6 +106,7 @@ def measure(chunk: Chunk) -> dict[str, np.ndarray]:
         "n_repeat_words": np.bincount(word_of[repeated > 0], minlength=count),
         "n_lines": np.bincount(line_of, minlength=count),
         "n_letters": _totals(_LETTER[chunk.data], chunk.starts),
+        "n_adjacent": np.bincount(word_of[1:][again], minlength=count),
     }
 
 
@@ -128,7 +133,7 @@ def _with_bits(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Rows (doc_id, measurements, fail_bits), one for each row of ``docs`` (doc_id, text).
 
-    Words are runs of anything but blanks.  A null or empty text has no words, lines or symbols.
+    Words are runs of anything but blanks; n_adjacent of them equal the word before.  A null or empty text has no words, lines or symbols.
     Repeated rows are measured each; other columns are not read; an empty table gives no rows.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -161,12 +166,12 @@ def ablation(rows: DataFrame, policy: str | tuple[str, ...], rules: tuple[Rule,
     )
 
 
-def judged(docs: DataFrame, policy: str = "corpus-1") -> DataFrame:
+def judged(docs: DataFrame, policy: str = "corpus-2") -> DataFrame:
     """The ledger with ``base_failed`` and ``kept``: the base rules and the policy's verdict."""
     return ledger(docs).withColumn("base_failed", ~passes("base-1")).withColumn("kept", passes("base-1") & passes(policy))
 
 
-def kept(docs: DataFrame, policy: str = "corpus-1") -> DataFrame:
+def kept(docs: DataFrame, policy: str = "corpus-2") -> DataFrame:
     """The rows of ``docs`` that pass the base rules and the policy, with all their columns."""
     passed = _with_bits(docs, RULES).where(passes("base-1") & passes(policy))
     return passed.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

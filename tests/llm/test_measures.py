@@ -51,6 +51,20 @@ def test_quality_ablation(docs):
         assert r.failed_alone == ledger.where(quality.passes(others)).count() - ledger.where(quality.passes("corpus-1")).count()
 
 
+def test_quality_junk(spark):
+    """Table junk and words repeated at once fail; ordinary prose does not; labels agree."""
+    words = [f"word{chr(97 + k)}" for k in range(20)]
+    texts = [(1, " | ".join(words)), (2, " ".join(w for w in words for _ in range(2))), (3, " ".join(words)), (4, " ".join(words) + " wordt")]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [got[k].kept for k in (1, 2, 3, 4)] == [False, False, True, True]
+    assert [got[k].n_adjacent for k in (1, 2, 3, 4)] == [0, 20, 0, 1]
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    seen = Counter((r.quality, r.kept) for r in quality.judged(docs).join(labels, "doc_id").select("quality", "kept").collect())
+    old = Counter((r.quality, r.kept) for r in quality.judged(docs, "corpus-1").join(labels, "doc_id").select("quality", "kept").collect())
+    assert seen[0, True] * 50 <= seen[0, False] + seen[0, True]
+    assert seen[1, False] == old[1, False]
+
+
 def test_token_counts(docs, rows):
     from tokenizers import Tokenizer
 
