@@ -1,13 +1,17 @@
 """License scans by canonical digest.
 
 A text is put into canonical form: case, punctuation, copyright lines and equivalent spellings
-no longer count.  Whole texts, their paragraphs and their lines are then looked up, each as an
-entire text, among the digests of known licences and notices: an equi-join on SHA-256, no search.
+no longer count.  Whole texts, their paragraphs, lines and runs of lines are then looked up, each
+as an entire text, among the digests of known licences and notices: an equi-join on SHA-256, no search.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from functools import lru_cache
+from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,10 +74,20 @@ _STEPS = (
 )
 
 
+# Words that give a licence; a copyright line is cut before them.
+_GIVEN = "licen[cs]ed under|released under|distributed under|this work is licen[cs]ed|permission is hereby|permission to use|redistribution and use|this software is provided|spdx[ -]licen[cs]e[ -]identifier"
+_BARE = "|".join(re.sub("[^a-z0-9]+", r"[^\\p{L}\\p{N}\\n]+", name.lower()) for names in NAMES.values() for name in names)
+_CLAUSE = r"(?m)^[ \t]*(?:copyright[ \t]*(?:\(c\)|©|[0-9<\[])|\(c\)[ \t]*[0-9a-z]|©|all rights reserved)(?:(?!\b(?:" + _GIVEN + r")\b|\b(?:the )?(?:" + _BARE + r")[^\p{L}\p{N}\n]*$)[^\n])*+"
+_OWN_STEPS = ((_CLAUSE, ""), *_STEPS[1:])
+
+# What starts the appendix on how to use a licence.
+_APPENDIX = re.compile(r"\n[ \t]*(?:APPENDIX: How to apply|How to Apply These Terms|Exhibit A - Form of|Exhibit A [-–] Form of)", re.I)
+
+
 def _canonical_sql(text: str, dialect: str) -> str:
     """The canonical form with its lines kept, as SQL."""
     out = f"lower({text})"
-    for pattern, put in _STEPS:
+    for pattern, put in _OWN_STEPS if dialect == "spark" else _STEPS:
         if dialect == "spark":
             out = f"regexp_replace({out}, r'{pattern}', '{put.replace(chr(92), '$')}')"
         else:
@@ -91,41 +105,87 @@ def canonical(text: str) -> Column:
 
 
 def known_texts() -> list[tuple[str, str]]:
-    """Licence and text of everything that is looked up; a fixed list."""
+    """Licence and text of notices and short licences; a fixed list, and all that the SQL has."""
     notices = [(key, form.format(name)) for key, names in NAMES.items() for name in names for form in FORMS]
     return [*TEXTS, *notices, *((key, f"SPDX-License-Identifier: {key}") for key in NAMES)]
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """Licence and whole text: TEXTS and the files in ``licenses``, these also without the appendix
+    on their use and with either scheme of links, and each of both under its usual titles."""
+    filed = []
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = path.read_text()
+        for cut in {text, _APPENDIX.split(text)[0]}:
+            filed += [(path.stem, cut), (path.stem, cut.replace("http://", "https://")), (path.stem, cut.replace("https://", "http://"))]
+    out = [*TEXTS, *filed]
+    for key, text in (*TEXTS, *(x for x in filed if len(x[1]) < 2000)):
+        short = "BSD" if key.startswith("BSD") else key
+        out += [(key, f"{the}{name}{said}\n\n{text}") for name in NAMES[key] for the in ("", "The ") for said in ("", f" ({key})", f" ({short})")]
+    return sorted(set(out))
+
+
+class Known(NamedTuple):
+    """Canonical texts: rows (digest, license, length), and (first words, length) of whole ones."""
+
+    digests: tuple[tuple[str, str, int], ...]
+    runs: tuple[tuple[str, int], ...]
+
+
+@lru_cache(maxsize=4)
+def _known(spark: SparkSession) -> Known:
+    bare = [(key, f"{the}{name}") for key, names in NAMES.items() for name in names for the in ("", "The ")]
+    made = json.dumps([{"license": k, "text": t, "full": full} for full, texts in ((False, [*known_texts(), *bare]), (True, full_texts())) for k, t in texts])
+    rows = spark.range(1).select(F.explode(F.from_json(F.lit(made), "array<struct<license: string, text: string, full: boolean>>")).alias("m")).select("m.*")
+    flat = rows.withColumn("lines", canonical("text")).withColumn("flat", F.expr(_one_line_sql("lines", "spark")))
+    got = flat.select("license", "full", "flat", F.sha2("flat", 256).alias("digest"), F.length("flat").alias("n")).collect()
+    names: dict[tuple[str, int], str] = {}
+    for r in got:
+        names[r.digest, r.n] = min(r.license, names.get((r.digest, r.n), r.license))
+    runs = {(" ".join(r.flat.split()[:5]), r.n) for r in got if r.full}
+    return Known(tuple(sorted((d, k, n) for (d, n), k in names.items())), tuple(sorted(runs)))
+
+
 def known_digests(spark: SparkSession) -> DataFrame:
     """Rows (digest, license), one for each distinct canonical text."""
-    made = json.dumps([{"license": k, "text": t} for k, t in known_texts()])
-    rows = spark.range(1).select(F.explode(F.from_json(F.lit(made), "array<struct<license: string, text: string>>")).alias("m")).select("m.*")
-    lined = rows.withColumn("lines", canonical("text"))
-    return lined.select(F.sha2(F.expr(_one_line_sql("lines", "spark")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    made = json.dumps([{"digest": d, "license": k} for d, k, _ in _known(spark).digests])
+    return spark.range(1).select(F.explode(F.from_json(F.lit(made), "array<struct<digest: string, license: string>>")).alias("m")).select("m.*")
 
 
-def longest_known() -> int:
-    """No canonical text of the list is longer than its text."""
-    return max(len(t) for _, t in known_texts())
+def _runs_sql(known: Known) -> str:
+    """Digests of whole known texts that start and end with lines of ``flat``, however their lines
+    and paragraphs are cut: from each line that has a text's first words, as much as the text is long."""
+    first = "|".join(sorted({p.replace(" ", "[ \\n]") for p, _ in known.runs}))
+    starts = f"""aggregate(split(flat, r'(?m)^(?=(?:{first})\\b)'), named_struct('at', 1, 'out', cast(array() as array<int>)),
+        (a, x) -> named_struct('at', a.at + length(x), 'out', concat(a.out, array(a.at))), a -> a.out)"""
+    texts = "array(" + ", ".join(f"named_struct('p', '{p}', 'n', {n})" for p, n in known.runs) + ")"
+    fits = "translate(substring(flat, at, length(k.p)), '\\n', ' ') = k.p and substring(flat, at + k.n, 1) in ('', '\\n')"
+    digests = f"flatten(transform({starts}, at -> transform(filter({texts}, k -> {fits}), k -> sha2(translate(substring(flat, at, k.n), '\\n', ' '), 256))))"
+    return f"if(flat rlike r'(?m)^(?:{first})\\b', {digests}, cast(array() as array<string>))"
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, license, n_notices, notices), one for each row of ``docs`` (doc_id, text).
 
     ``license``: the licence whose text the whole text is, else null.  ``notices``: the licences
-    whose texts are a paragraph or a line of it, sorted and joined by commas.  Null, empty and
-    blank texts have neither.  Rows with equal ids and different texts are told apart; repeated
-    rows are all returned; other columns are not read; an empty table gives no rows.
+    whose texts are a paragraph, a line or a run of lines of it, sorted and joined by commas.  Null,
+    empty and blank texts have neither.  Rows with equal ids and different texts are told apart;
+    repeated rows are all returned; other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    known = _known(spark)
+    lengths = ", ".join(map(str, sorted({n for _, _, n in known.digests})))
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     lined = rows.select("doc_id", "mark", canonical("text").alias("lines"))
-    whole = F.array(F.struct(F.lit(0).alias("part"), F.col("lines").alias("unit")))
-    parts = lambda cut: F.transform(F.split("lines", cut), lambda x: F.struct(F.lit(1).alias("part"), x.alias("unit")))
-    units = lined.select("doc_id", "mark", F.explode(F.concat(whole, parts(r"\n[ \t]*\n\s*"), parts(r"\n"))).alias("u"))
-    # Longer than any known text even after blanks are joined: blanks are single already, but for line ends.
-    short = units.where(F.length("u.unit").between(1, 4 * longest_known())).select("doc_id", "mark", "u.part", F.sha2(F.expr(_one_line_sql("u.unit", "spark")), 256).alias("digest"))
-    hits = short.join(F.broadcast(known_digests(spark)), "digest")  # a fixed list of some 300 rows
+    # Blanks are single already, but for line ends.
+    flat = lined.withColumn("flat", F.expr("trim(both '\\n' from regexp_replace(lines, r'\\n\\s+', '\\n'))"))
+    whole = f"if(length(flat) in ({lengths}), array(sha2(translate(flat, '\\n', ' '), 256)), cast(array() as array<string>))"
+    paragraphs = f"transform(filter(transform(split(lines, r'\\n[ \\t]*\\n\\s*'), x -> trim(translate(x, '\\n', ' '))), x -> length(x) in ({lengths})), x -> sha2(x, 256))"
+    lines = f"transform(filter(split(flat, '\\n'), x -> length(x) in ({lengths})), x -> sha2(x, 256))"
+    tagged = lambda part, made: F.transform(made, lambda d: F.struct(F.lit(part).alias("part"), d.alias("digest")))
+    units = F.concat(tagged(0, F.expr(whole)), tagged(1, F.expr(f"concat({paragraphs}, {lines}, {_runs_sql(known)})")))
+    short = flat.select("doc_id", "mark", F.explode(units).alias("u")).select("doc_id", "mark", "u.part", "u.digest")
+    hits = short.join(F.broadcast(known_digests(spark)), "digest")  # a fixed list of some 600 rows
     named = F.array_sort(F.collect_set(F.when(F.col("part") == 1, F.col("license"))))
     found = hits.groupBy("doc_id", "mark").agg(F.min(F.when(F.col("part") == 0, F.col("license"))).alias("license"), F.size(named).cast("long").alias("n"), F.array_join(named, ",").alias("names"))
     same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.mark") == F.col("h.mark"))
@@ -133,7 +193,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def license_scan_sql() -> str:
-    """DuckDB SQL with the rows of ``license_scan`` over ``documents``, if doc_id is unique."""
+    """DuckDB SQL with the rows of ``license_scan`` over ``documents``, if doc_id is unique and no
+    text has what only the operator knows: full or titled texts, bare names, texts over several
+    paragraphs, and notices after a copyright clause."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(k)}, {quote(t)})" for k, t in known_texts())
     return f"""

@@ -1,5 +1,7 @@
 """License scans: variants of known texts, and the SQL on a whole table."""
 
+from pathlib import Path
+
 import duckdb
 from strandline.llm import license_scan as ls
 
@@ -24,6 +26,25 @@ def test_variants(spark):
     assert ls.license_scan(docs.where("false")).count() == 0
 
 
+def test_full_texts(spark):
+    """Titled files, whole licences, texts of several paragraphs amid others, names after a clause."""
+    mit = dict(ls.TEXTS)["MIT"]
+    parts = mit.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    assert parts.count("\n\n") == 2
+    file = "The MIT License (MIT)\n\nCopyright (c) 2020 Some One\n\n" + parts
+    kept = {p.stem: p.read_text() for p in (Path(ls.__file__).parent / "licenses").glob("*.txt")}
+    rows = [(1, file), (2, "Some code.\n\n" + parts + "\n\nMore of it."), (3, "MIT License"), (4, "Copyright 2020 A. B. Inc. All rights reserved. Licensed under the MIT License."), (5, "(c) 2021 X, MIT License"),
+            (6, "Intro " + parts), (7, parts + " and more"), (8, "Mit."), (9, "Copyright (c) 2020 MIT License Team"), (10, "\n" * 200_000 + parts), (11, "Copyright 2020 Some One Inc. and others\n" + mit),
+            (12, kept["Apache-2.0"].split("APPENDIX")[0]), (13, "Use of these:\n\n" + kept["GPL-3.0-only"] + "\n\n" + kept["Unlicense"])]
+    rows += [(100 + k, text) for k, (_, text) in enumerate(sorted(kept.items()))]
+    by = {r[0]: tuple(r)[1:] for r in ls.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert by[1] == by[3] == by[4] == by[5] == by[10] == by[11] == ("MIT", 1, "MIT")
+    assert by[2] == (None, 1, "MIT")
+    assert by[6] == by[7] == by[8] == by[9] == (None, 0, "")
+    assert by[12][0] == "Apache-2.0" and by[13] == (None, 2, "GPL-3.0-only,Unlicense")
+    assert [by[100 + k][0] for k in range(len(kept))] == sorted(kept)
+
+
 def test_equals_sql(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     con = duckdb.connect()
