@@ -1,7 +1,10 @@
 """Personal data against brute force, and held-out quality of the forest."""
 
+import random
+
 import brute
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from strandline.llm import pii
 
@@ -60,3 +63,24 @@ def test_forest_on_other_examples(spark):
     y, p = np.array([r.y for r in hit]), np.array([r.hit for r in hit])
     assert (p & (y == 1)).sum() / p.sum() > 0.93
     assert (p & (y == 1)).sum() / (y == 1).sum() > 0.8
+
+
+def test_long_secrets(spark):
+    """No part of a long secret is left; runs of digits of any length are read in time in proportion."""
+    rng = random.Random(3)
+    of = lambda n, more="": "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more) for _ in range(n))
+    made = [(f"see {before}{q}", of(n, more), f"{q} end") for n in (40, 100, 500) for before, q, more in (("password=", "", ""), ("token: ", '"', ""), ("bearer ", "", ""), ("secret=", "", "!$%.~#"))]
+    rows = [(k, "".join(x)) for k, x in enumerate(made)] + [(900, "account " + "12345678" * 9 + " end"), (901, "1- " * 60000), (902, "12.5 123456789 12345678.5")]
+    clean = {r.doc_id: r.text for r in pii.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (_, value, _) in enumerate(made):
+        assert not any(value[j : j + 8] in clean[k] for j in range(len(value) - 7)), (k, clean[k])
+        assert clean[k].endswith(" end")
+    assert clean[900] == "account [ACCOUNT] end" and clean[901] == rows[-2][1]
+    assert clean[902].endswith("12345678.5")
+
+
+def test_disabled_generator_is_an_error():
+    x = np.random.default_rng(1).random((400, len(pii.FEATURES)))
+    x[:, 0] = np.arange(400) % len(pii.GENERATORS)
+    with pytest.raises(ValueError, match="generator secret"):
+        pii.fit(x, np.zeros(400), rounds=1)
