@@ -29,6 +29,14 @@ CLOSES_P = BLOCK - frozenset("caption tbody td tfoot th thead tr html body".spli
 # Words in class, id and role that mark what is not the article.
 _AROUND_WORDS = "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside rail widget widgets related recommended comment comments reply replies respond discussion disqus footer header masthead topbar toolbar share sharing social pagination pager skip search tags toc contentinfo complementary"
 _MARK = frozenset(_AROUND_WORDS.split())
+# Those that also name a page's layout, where they may stand on a wrapper of the article.
+_LAYOUT = frozenset("banner notice notices alert overlay nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside rail header footer masthead topbar toolbar skip search tags toc".split())
+_WRAPPERS = frozenset("div section td form".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A class that says whether the page has a part, not that the element is one.
+_STATE = re.compile(r"(?:with|without|no|not|has|hide|show)[-_].*")
+#: How an element's names mark it: not, as what may be a wrapper of the article, or as no content.
+PLAIN, SOFT, HARD = 0, 1, 2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
@@ -37,26 +45,31 @@ _BLANKS = re.compile(r"\s+")
 
 
 class Node:
-    """An open element: its generalised path, and whether it or one around it is no content."""
+    """An open element: its generalised path, whether it or one around it is no content, and
+    those of them, by number, that are softly marked."""
 
-    __slots__ = ("tag", "path", "around", "number")
+    __slots__ = ("tag", "path", "around", "number", "soft")
 
-    def __init__(self, tag: str, path: str, around: bool, number: int) -> None:
-        self.tag, self.path, self.around, self.number = tag, path, around, number
+    def __init__(self, tag: str, path: str, around: bool, number: int, soft: tuple[int, ...] = ()) -> None:
+        self.tag, self.path, self.around, self.number, self.soft = tag, path, around, number, soft
 
 
-def _named(attributes: str) -> tuple[str, bool]:
-    """The generalised class, and whether names mark the element as no content."""
+def _named(tag: str, attributes: str) -> tuple[str, int]:
+    """The generalised class, and how names mark the element."""
     if "=" not in attributes:
-        return "", False
+        return "", PLAIN
     found: dict[str, str] = {}
     for name, *value in _ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), next(filter(None, value), ""))
     style = found.get("class", "")
-    said = " ".join((style, found.get("id", ""), found.get("role", ""))).lower()
+    classes = (c for c in style.lower().split() if not _STATE.fullmatch(c))
+    said = " ".join((*classes, "" if tag in _HEADINGS else found.get("id", ""), found.get("role", ""))).lower()
     hidden = "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden", "").lower() == "true"
     first = _WORDS.findall(style.lower())
-    return "-".join(first[:2]), hidden or not _MARK.isdisjoint(_WORDS.findall(said))
+    marks = _MARK.intersection(_WORDS.findall(said))
+    if not marks and not hidden:
+        return "-".join(first[:2]), PLAIN
+    return "-".join(first[:2]), SOFT if tag in _WRAPPERS and not hidden and marks <= _LAYOUT else HARD
 
 
 class Page:
@@ -64,6 +77,8 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.blocks: list[tuple[str, tuple[Node, ...], int]] = []
+        self._soft: list[tuple[int, ...]] = []
+        self._articles: list[tuple[int, ...]] = []
         self._text: list[str] = []
         self._linked = 0
         root = Node("", "", False, 0)
@@ -103,6 +118,20 @@ class Page:
             else:
                 self._open(tag, attributes)
         self._cut()
+        self._settle()
+
+    def _settle(self) -> None:
+        """Leave out the blocks of softly marked elements, but for those that hold nearly all of the
+        page's unlinked text, or every article of it."""
+        if any(self._soft):
+            total, held = 0, {}
+            for (text, _, linked), soft in zip(self.blocks, self._soft, strict=True):
+                worth = max(0, len(text) - 2 * linked)
+                total += worth
+                for number in soft:
+                    held[number] = held.get(number, 0) + worth
+            free = {n for n, worth in held.items() if 4 * worth > 3 * total or worth and self._articles and all(n in a for a in self._articles)}
+            self.blocks = [b for b, soft in zip(self.blocks, self._soft, strict=True) if free.issuperset(soft)]
 
     def _add(self, text: str) -> None:
         if self.stack[-1].around:
@@ -119,6 +148,7 @@ class Page:
             if text:
                 holders = tuple(n for n in self.stack if n.tag in HOLDERS)
                 self.blocks.append((text, holders, self._linked))
+                self._soft.append(self.stack[-1].soft)
             self._text.clear()
         self._linked = 0
 
@@ -133,13 +163,16 @@ class Page:
             self._text.append(" ")
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             return
-        name, marked = _named(attributes)
+        name, marked = _named(tag, attributes)
         above = self.stack[-1]
         self.count += 1
         path = f"{above.path}/{tag}.{name}" if name else f"{above.path}/{tag}"
         # The marks of page, body and article say what the page is about, not that it is no content.
-        around = above.around or tag in AROUND or marked and tag not in ("html", "body", "article", "main")
-        self.stack.append(Node(tag, path if tag in HOLDERS else above.path, around, self.count))
+        around = above.around or tag in AROUND and tag != "form" or marked == HARD and tag not in ("html", "body", "article", "main")
+        soft = (*above.soft, self.count) if marked == SOFT or tag == "form" else above.soft
+        if tag in ("article", "main") and not around:
+            self._articles.append(soft)
+        self.stack.append(Node(tag, path if tag in HOLDERS else above.path, around, self.count, soft))
 
     def _until(self, tag: str, stops: frozenset[str]) -> None:
         """Close ``tag`` where its end tag may be left out."""

@@ -201,3 +201,31 @@ def test_pages(spark):
         assert found[r.page_id].n_chars == len(found[r.page_id].text)
     assert [found[k].text for k in (-1, -2, -3, -4, None, -5)] == ["", "", "plain text & more", "", "kept <b>\na b", "cut off"]
     assert html_main.main_text(rows.where("false")).count() == 0
+
+
+PROSE = [f"Paragraph {w} says at some length what this page is about, with no link in it at all." for w in "one two three four five six".split()]
+BODY = "".join(f"<p>{p}</p>" for p in PROSE)
+ASIDE = "<nav><a href='/'>Home</a> <a href='/x'>More of this</a></nav>", "<footer>Owned by someone</footer>"
+
+
+def text_of(html):
+    page = html_main.Page(html)
+    own = page.scores()
+    return page.text(max(sorted(own), key=own.get) if own else None)
+
+
+@pytest.mark.parametrize("start, end", [("<div class='content with-sidebar'>", "</div>"), ("<div class='no-sidebar'>", "</div>"), ("<div id='page' class='has-banner'>", "</div>"), ("<form action='/'>", "</form>"),
+                                        ("<form><div id='header-wrap'>", "</div></form>"), ("<div class='layout-sidebar'><div>short note</div><article>", "</article></div>")])
+def test_marked_wrappers(start, end):
+    for before, after in (("", ""), ASIDE):
+        got = text_of(f"<body>{before}{start}{BODY}<div class='sidebar'>Short side text</div>{end}{after}</body>")
+        assert got.split("\n") == PROSE
+
+
+def test_marks_that_stay():
+    """Headings keep slugs; parts with marks of their own stay out, however long comments are."""
+    slugs = "".join(f"<h2 id='{s}'>Heading {s}</h2><p>{p}</p>" for s, p in zip(("related-work", "search-trees", "notice-period"), PROSE))
+    assert text_of(f"<body><div class='post'>{slugs}</div></body>").count("Heading") == 3
+    assert text_of(f"<body><div class='post'><p>{PROSE[0]}</p></div><div id='comments'><article>{BODY * 5}</article></div></body>") == PROSE[0]
+    assert text_of(f"<body><div class='post'><p>{PROSE[0]}</p></div><div class='sidebar'><p>{PROSE[1]}</p></div></body>") == PROSE[0]
+    assert text_of(f"<body>{ASIDE[0]}<div class='cookie'>We use these</div></body>") == ""
