@@ -77,6 +77,8 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.blocks: list[tuple[str, tuple[Node, ...], int]] = []
+        #: The containers, by number, around each menu or the like; body only counts all of AROUND.
+        self.furniture: list[tuple[int, ...]] = []
         self._soft: list[tuple[int, ...]] = []
         self._articles: list[tuple[int, ...]] = []
         self._text: list[str] = []
@@ -169,6 +171,9 @@ class Page:
         path = f"{above.path}/{tag}.{name}" if name else f"{above.path}/{tag}"
         # The marks of page, body and article say what the page is about, not that it is no content.
         around = above.around or tag in AROUND and tag != "form" or marked == HARD and tag not in ("html", "body", "article", "main")
+        if tag in AROUND and tag != "form" and not above.around:
+            wide = tag in ("nav", "menu", "search")
+            self.furniture.append(tuple(n.number for n in self.stack if n.tag in HOLDERS and (wide or n.tag == "body")))
         soft = (*above.soft, self.count) if marked == SOFT or tag == "form" else above.soft
         if tag in ("article", "main") and not around:
             self._articles.append(soft)
@@ -204,16 +209,51 @@ class Page:
                 found[node.path] = found.get(node.path, 0.0) + kind * worth / (1 << min(depth, 20))
         return found
 
+    def _under(self, path: str) -> list[int]:
+        """Places of the blocks under a path and under what is around it and belongs to it: the
+        highest element whose further text is mostly unlinked, short of one with menus or the like
+        outside the path, unless that is the article; never what is around an article."""
+        inside = {k for k, (_, holders, _) in enumerate(self.blocks) if any(n.path == path for n in holders)}
+        around: dict[int, Node] = {}
+        of_path: set[int] = set()
+        for k in inside:
+            chain = self.blocks[k][1]
+            at = next(j for j, n in enumerate(chain) if n.path == path)
+            of_path.add(chain[at].number)
+            top = next((j for tag in ("article", "main") for j in range(at + 1) if chain[j].tag == tag), 0)
+            around.update((n.number, n) for n in chain[top:at])
+        under: dict[int, list[int]] = {number: [] for number in around}
+        for k, (_, holders, _) in enumerate(self.blocks):
+            for n in holders:
+                if n.number in under:
+                    under[n.number].append(k)
+        took: set[int] = set()
+        other = {number for chain in self.furniture if not of_path.intersection(chain) for number in chain}
+        for number in sorted(around):  # the outer ones come first
+            more = [self.blocks[k] for k in under[number] if k not in inside]
+            if 2 * sum(linked for _, _, linked in more) > sum(len(t) for t, _, _ in more):
+                continue
+            if around[number].tag in ("article", "main") or number not in other:
+                took.update(under[number])
+                if len(took) == len(self.blocks):
+                    break
+        return sorted(inside | took)
+
+    def _worth(self, places: list[int]) -> int:
+        return sum(max(0, len(self.blocks[k][0]) - 2 * self.blocks[k][2]) for k in places)
+
     def text(self, path: str | None) -> str:
-        """The blocks under a path; of all the page if it has no such container."""
+        """The blocks under a path and what belongs to it; under the page's own best one if that has
+        more than twice as much, and of all the page if it has no such container."""
         if path is not None:
-            inside = [t for t, holders, _ in self.blocks if any(n.path == path for n in holders)]
-            if inside:
-                return "\n".join(inside)
-            own = self.scores()
-            if own:
-                best = max(sorted(own), key=own.get)
-                return "\n".join(t for t, holders, _ in self.blocks if any(n.path == best for n in holders))
+            found = self._under(path)
+            if 2 * self._worth(found) < self._worth(range(len(self.blocks))) or not found:
+                own = self.scores()
+                best = self._under(max(sorted(own), key=own.get)) if own else []
+                if self._worth(best) > 2 * self._worth(found):
+                    found = best
+            if found:
+                return "\n".join(self.blocks[k][0] for k in found)
         return "\n".join(t for t, _, _ in self.blocks)
 
 

@@ -229,3 +229,22 @@ def test_marks_that_stay():
     assert text_of(f"<body><div class='post'><p>{PROSE[0]}</p></div><div id='comments'><article>{BODY * 5}</article></div></body>") == PROSE[0]
     assert text_of(f"<body><div class='post'><p>{PROSE[0]}</p></div><div class='sidebar'><p>{PROSE[1]}</p></div></body>") == PROSE[0]
     assert text_of(f"<body>{ASIDE[0]}<div class='cookie'>We use these</div></body>") == ""
+
+
+def test_text_around_the_winning_path(spark):
+    """Titles and leads beside the winning container stay, and a host's path that holds little of a page gives way."""
+    section = f"<section>{BODY}</section>"
+    lead = "<h1>Title</h1><p>The lead of it.</p>"
+    want = ["Title", "The lead of it.", *PROSE, *PROSE]
+    assert text_of(f"<body>{ASIDE[0]}<div class='post'>{lead}{section}{section}</div>{ASIDE[1]}</body>").split("\n") == want
+    got = text_of(f"<body>{ASIDE[0]}<div class='post'><div class='lead'><p>{PROSE[0]}</p><p>{PROSE[1]}</p></div><div class='text'>{BODY}</div></div></body>")
+    assert got.split("\n") == [*PROSE[:2], *PROSE]
+    deep = text_of(f"<body>{ASIDE[0]}<article><h1>Title</h1><div class='a'><div class='b'><div class='c'>{BODY * 3}</div></div></div></article></body>")
+    assert deep.split("\n") == ["Title", *PROSE * 3]
+    linked = "<div class='box'><a href='/1'>One more page with a long name</a> <a href='/2'>Another</a></div>"
+    assert text_of(f"<body><div class='post'>{BODY}</div>{linked}</body>").split("\n") == PROSE
+    assert text_of(f"<body>{ASIDE[0]}<div class='post'>{BODY}</div><div class='box'><p>Something else here</p></div></body>").split("\n") == PROSE
+    first = [(k, "http://a.org/", f"<body>{ASIDE[0]}<div class='story'>{BODY}</div></body>") for k in range(30)]
+    second = (99, "http://a.org/", f"<body>{ASIDE[0]}<div class='story'><p>Summary</p></div><div class='report'>{BODY}</div></body>")
+    found = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame([*first, second], "page_id long, url string, html string")).collect()}
+    assert found[0].split("\n") == found[99].split("\n") == PROSE
