@@ -21,6 +21,7 @@ K = 7
 SPAN = WINDOW - K + 1
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,7 +56,7 @@ def _fingerprints(rows: DataFrame, short: list[int], own_length_only: bool) -> D
     return rows.drop("grams")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, with_mark: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, with_mark: bool = False, with_runs: bool = False) -> DataFrame:
     """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one for each row of
     ``docs`` (doc_id, text) against ``benchmark`` (item_id, text).
 
@@ -66,7 +67,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, with_mark: bool = False
 
     Null and empty texts have no words; an item without words has no window.  Repeated rows are
     all returned; rows with equal ids and different texts are told apart.  With an empty benchmark
-    nothing is hit.  Other columns are not read.  ``with_mark`` adds ``mark``, the text's xxhash64.
+    nothing is hit.  Other columns are not read.  ``with_mark`` adds ``mark``, the text's xxhash64,
+    and ``with_runs`` adds ``runs``, the hit words as sorted runs from word s to before word e, from 1
+    on; null where there are none.
     """
     items = materialise(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text").cast("string")).alias("words")).withColumn("n", F.size("words")).where("n > 0"), "items")
     short = sorted(r[0] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())  # WINDOW - 1 numbers at most
@@ -96,8 +99,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, with_mark: bool = False
     found = extended.select("doc_id", "mark", "item_id", F.expr("transform(filter(around, i -> array_contains(windows, array_join(slice(words, i, length), ' '))), i -> struct(i as s, i + length as e))").alias("runs")).where("size(runs) > 0")
     covered = """aggregate(array_sort(flatten(collect_list(runs))), named_struct('sum', 0L, 'end', 0),
         (a, r) -> named_struct('sum', a.sum + greatest(0, r.e - greatest(r.s, a.end)), 'end', greatest(a.end, r.e)), a -> a.sum)"""
+    merged = """aggregate(array_sort(flatten(collect_list(runs))), cast(array() as array<struct<s: int, e: int>>),
+        (a, r) -> if(size(a) > 0 and try_element_at(a, -1).e >= r.s,
+            concat(slice(a, 1, size(a) - 1), array(named_struct('s', try_element_at(a, -1).s, 'e', greatest(try_element_at(a, -1).e, r.e)))),
+            concat(a, array(named_struct('s', r.s, 'e', r.e)))))"""
     named = F.array_sort(F.collect_set("item_id"))
-    result = found.groupBy("doc_id", "mark").agg(F.expr(covered).alias("n_hit"), F.size(named).cast("long").alias("n_items"), F.sha2(F.array_join(named, ","), 256).alias("items_sha256"))
+    more = [F.expr(merged).alias("runs")] if with_runs else []
+    result = found.groupBy("doc_id", "mark").agg(*more, F.expr(covered).alias("n_hit"), F.size(named).cast("long").alias("n_items"), F.sha2(F.array_join(named, ","), 256).alias("items_sha256"))
     result = result.alias("h")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return rows.alias("d").join(result, same, "left").select(
@@ -108,4 +116,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, with_mark: bool = False
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
         *(["d.mark"] if with_mark else []),
+        *(["runs"] if with_runs else []),
     )
+
+
+def without_runs(text: Column, runs: Column) -> Column:
+    """``text`` without the words of ``runs`` and what stands between them; the rest as it is."""
+    own = words(text)
+    gaps = F.split(F.translate(text, _UPPER, _LOWER), _WORDS, -1)
+    total = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+    places = F.transform(runs, lambda r: F.struct((total(own, r["s"] - 1) + total(gaps, r["s"])).alias("s"), (total(own, r["e"] - 1) + total(gaps, r["e"] - 1)).alias("e")))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda a, r: F.struct(r["e"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, r["s"] - a["at"])).alias("out"))
+    return F.aggregate(places, begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
