@@ -25,3 +25,11 @@ def for_path(value: Column) -> Column:
 
 def cell_label(frame_index: Column, seconds: Column) -> Column:
     return F.concat(F.lit("F"), frame_index, F.lit(" t="), fixed(seconds, 1), F.lit("s"))
+
+
+def iso_utc(instant: Column) -> Column:
+    """A UTC timestamp without zone as ISO text with its offset; the fraction, of six digits, only
+    where there is one."""
+    whole = F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss")
+    part = F.date_format(instant, "SSSSSS")
+    return F.concat(whole, F.when(part != "000000", F.concat(F.lit("."), part)).otherwise(""), F.lit("+00:00"))

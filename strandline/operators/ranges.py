@@ -52,12 +52,20 @@ class Options:
 
 
 def overlay(ranges: DataFrame, defaults: DataFrame | None, options: Options, on: list[str] | None = None) -> DataFrame:
-    """Fill each range's open options from ``defaults`` (one row a key of ``on``, or one row in
-    all), then from ``options``.  A null option counts as not given."""
+    """Fill each range's open options from ``defaults``, then from ``options``.  A null option
+    counts as not given.
+
+    ``defaults`` has one row a key of ``on``, or without ``on`` one row at most; none leaves the
+    ranges to ``options``.  Two rows where there may be one are an error when the result is read."""
     if defaults is not None:
         given = {c: f"_d_{c}" for c in defaults.columns if c not in (on or ())}
         named = defaults.select(*(on or ()), *(F.col(c).alias(n) for c, n in given.items()))
-        ranges = ranges.join(named, on, "left") if on else ranges.crossJoin(F.broadcast(named.limit(1)))
+        if on:
+            once = F.when(F.count("*") == 1, F.first(F.struct(*given.values()))).otherwise(F.raise_error(F.lit("two rows of defaults for one key")))
+            ranges = ranges.join(named.groupBy(*on).agg(once.alias("_d")), on, "left")
+        else:
+            ranges = ranges.withColumn("_d", named.select(F.struct(*given.values())).scalar())
+        ranges = ranges.select(*(c for c in ranges.columns if c != "_d"), *(F.col(f"_d.{n}").alias(n) for n in given.values()))
     else:
         given = {}
     out = {}
@@ -73,7 +81,6 @@ def overlay(ranges: DataFrame, defaults: DataFrame | None, options: Options, on:
 #: Rules in the order in which the first failure is named: name and SQL that must hold.  NaN is
 #: above every number here, so it is refused by name.
 RULES = (
-    ("duration", "duration_sec > 0 and duration_sec < double('infinity')"),
     ("fps", "fps > 0 and fps < double('infinity')"),
     ("start", "start >= 0 and start < double('infinity')"),
     ("pad", "pad >= 0 and pad < double('infinity')"),
@@ -85,6 +92,7 @@ RULES = (
     ("label_height", "label_height >= 1"),
     ("gap", "gap >= 0"),
     ("quality", "quality between 1 and 95"),
+    ("duration", "duration_sec > 0 and duration_sec < double('infinity')"),
     ("end_after_start", "coalesce(end, duration_sec) > start and not isnan(coalesce(end, duration_sec))"),
     ("start_in_source", "start < duration_sec"),
     ("padded_empty", "least(duration_sec, least(coalesce(end, duration_sec), duration_sec) + pad) > greatest(0D, start - pad)"),
@@ -145,12 +153,14 @@ def merge_ranges(ranges: DataFrame, key: list[str], order: str, threshold: float
     Other columns of absorbed ranges are dropped.
 
     Ranges that don't reach the largest end before them can't merge with anything earlier, so a key
-    falls into blocks that are folded apart; a key's ranges never meet in one array.
+    falls into blocks that are folded apart; a block is one array, a key without a break one block.
+    A null or NaN bound is an error when the result is read.
     """
+    bound = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).otherwise(F.raise_error(F.lit(f"range without {c}")))
     w = Window.partitionBy(*key).orderBy("start", "end", order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     text = lambda c: F.col(c).cast("string") if c in ranges.columns else F.lit(None).cast("string")
-    rows = ranges.select(*key, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), text("label").alias("label"), text("needs_followup").alias("needs_followup"), text("priority").alias("priority"), order)
+    rows = ranges.select(*key, bound("start").alias("start"), bound("end").alias("end"), text("label").alias("label"), text("needs_followup").alias("needs_followup"), text("priority").alias("priority"), order)
     reach = F.max("end").over(before)
     fresh = F.when(reach.isNull() | (F.col("start") >= reach) if threshold > 0 else reach.isNull(), 1).otherwise(0)
     blocks = rows.withColumn("_fresh", fresh).withColumn("_block", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))

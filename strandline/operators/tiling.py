@@ -1,4 +1,8 @@
-"""Fixed-size tiles of frames, and their geometry."""
+"""Fixed-size tiles of frames, and their geometry.
+
+``planned`` makes the tiles of a range within the range's row, by arithmetic; ``tiles`` groups the
+rows of a table of real frames.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefmt import cell_label, micro
+from .sampling import frame_count, timestamp
 
 
 def auto_cols(n: Column) -> Column:
@@ -76,6 +81,43 @@ def with_geometry(cells: DataFrame) -> DataFrame:
     return out.withColumn("label_text", cell_label(c("frame_index"), c("timestamp_sec"))).withColumn("stored_sec", micro(c("timestamp_sec")))
 
 
+def planned(ranges: DataFrame, with_cells: bool = False) -> DataFrame:
+    """Add frame_total, tile_count and ``tiles``, in order, to ranges with bounds, fps, tile options
+    and the source's size: one row a range all the way, without a look at other rows."""
+    c = F.col
+    per, height, gap = c("frames_per_tile"), c("label_height"), c("gap")
+    aspect = c("source_height") / c("source_width")
+    out = ranges.withColumn("frame_total", frame_count(c("start_sec"), c("end_sec"), c("fps")))
+    out = out.withColumn("tile_count", F.ceil(c("frame_total") / per).cast("int"))
+    at = lambda k: micro(timestamp(c("start_sec"), k, c("fps")))
+
+    def bounds(index: Column) -> Column:
+        first = (index * per).cast("int")
+        last = (F.least(c("frame_total"), first + per) - 1).cast("int")
+        return F.struct(index.alias("tile_index"), first.alias("start_frame"), last.alias("end_frame"), at(first).alias("start_timestamp_sec"), at(last).alias("end_timestamp_sec"), (last - first + 1).alias("frame_count"))
+
+    def grid(t: Column) -> Column:
+        across = grid_cols(t["frame_count"], c("cols"), per)
+        return t.withField("grid_cols", across).withField("grid_rows", grid_rows(t["frame_count"], across))
+
+    def cell(t: Column) -> Column:
+        wide = F.coalesce(c("cell_width"), fit_cell_width(t["grid_cols"], t["grid_rows"], gap, height, aspect, c("tile_width"), c("tile_height")))
+        return t.withField("cell_w", wide).withField("cell_h", F.greatest(F.lit(1), rounded(wide * aspect)))
+
+    def size(t: Column) -> Column:
+        wide = t["grid_cols"] * t["cell_w"] + (t["grid_cols"] - 1) * gap
+        return t.withField("tile_w", wide).withField("tile_h", t["grid_rows"] * (t["cell_h"] + height) + (t["grid_rows"] - 1) * gap)
+
+    def cells(t: Column) -> Column:
+        each = lambda k: F.struct(k.alias("frame_index"), at(k).alias("timestamp_sec"), frame_name(k).alias("filename"), F.floor((k - t["start_frame"]) / t["grid_cols"]).cast("int").alias("row"), ((k - t["start_frame"]) % t["grid_cols"]).alias("col"))
+        return t.withField("cells", F.transform(F.sequence(t["start_frame"], t["end_frame"]), each))
+
+    tiles = F.sequence(F.lit(0), c("tile_count") - 1)
+    for step in (bounds, grid, cell, size, *([cells] if with_cells else [])):
+        tiles = F.transform(tiles, step)
+    return out.withColumn("tiles", tiles)
+
+
 def frame_name(index: Column) -> Column:
     return F.format_string("frame_%06d.jpg", index)
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.timefmt import fixed
+from .ranges import overlap_ratio
+
 #: Sampling rates of the stages, frames a second.
 STAGES = (("overview", 0.5, 1.0), ("candidate", 3.0, 5.0), ("refine", 8.0, 10.0))
 
@@ -44,3 +47,48 @@ def join_titles(events: DataFrame, key: list[str], title: str, gap: float) -> Da
     fresh = F.when(reach.isNull() | (F.col("start_sec") > reach + gap), 1).otherwise(0)
     run = events.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return run.groupBy(*key, title, "_run").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.count("*").alias("events")).drop("_run")
+
+
+def fold_into(existing: DataFrame, new: DataFrame, key: str, order: str, threshold: float, width: float) -> DataFrame:
+    """Existing and new ranges (key, order, start, end): a new one that overlaps existing ones by
+    the threshold or more goes ``into_id``, the one it overlaps most (the least id on ties), which
+    grows to hold it; the others are added as they are, with a null ``into_id``.
+
+    Ranges meet in the stretches of ``width`` seconds that they touch: an equi-join."""
+    touched = lambda rows: rows.select(key, order, "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_cell"))
+    left, right = touched(new).alias("n"), touched(existing).alias("x")
+    met = left.join(right, (F.col(f"n.{key}") == F.col(f"x.{key}")) & (F.col("n._cell") == F.col("x._cell")))
+    ratio = overlap_ratio(F.col("n.start"), F.col("n.end"), F.col("x.start"), F.col("x.end"))
+    met = met.where(F.col("n._cell") == F.floor(F.greatest("n.start", "x.start") / width)).select(F.col(f"n.{key}").alias(key), F.col(f"n.{order}").alias(order), F.col("n.start").alias("start"), F.col("n.end").alias("end"), F.col(f"x.{order}").alias("into_id"), ratio.alias("ratio"))
+    met = met.where((F.col("ratio") >= threshold) & (F.col("ratio") > 0))
+    best = met.groupBy(key, order).agg(F.min(F.struct((-F.col("ratio")).alias("r"), "into_id", "start", "end")).alias("b")).select(key, order, "b.into_id", F.col("b.start").alias("_s"), F.col("b.end").alias("_e"))
+    grown = best.groupBy(key, F.col("into_id").alias(order)).agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+    kept = existing.join(grown, [key, order], "left").withColumn("start", F.least("start", "_s")).withColumn("end", F.greatest("end", "_e")).drop("_s", "_e").withColumn("into_id", F.lit(None).cast(existing.schema[order].dataType))
+    return kept.unionByName(new.join(best.drop("_s", "_e"), [key, order], "left"))
+
+
+def report(heads: DataFrame, found: DataFrame, looked_at: DataFrame, key: list[str]) -> DataFrame:
+    """Rows (key, report) for each of ``heads`` (key, overview, cautions): markdown with an
+    overview, the candidates ``found`` (start_sec, end_sec, title, summary, evidence) in order of
+    time, the ranges that were looked at again (start_sec, end_sec, fps, manifest, analysis), a
+    timeline of the candidates and of nothing else, and cautions."""
+    span = lambda c: F.concat(fixed(F.col(f"{c}start_sec"), 1), F.lit("s to "), fixed(F.col(f"{c}end_sec"), 1), F.lit("s"))
+    one = lambda x, k: F.concat(
+        F.lit("### "), k + 1, F.lit(". "), x["title"], F.lit(" ("), fixed(x["start_sec"], 1), F.lit("s - "), fixed(x["end_sec"], 1), F.lit("s)\n- title: "), x["title"],
+        F.lit("\n- start_sec / end_sec: "), fixed(x["start_sec"], 1), F.lit(" / "), fixed(x["end_sec"], 1), F.lit("\n- summary: "), x["summary"], F.lit("\n- evidence: "), x["evidence"],
+    )
+    ordered = found.withColumn("line", F.concat(F.lit("- "), span(""), F.lit(": "), "title")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start_sec", "end_sec", "title", "summary", "evidence", "line"))).alias("_found"))
+    said = F.concat(F.lit("- "), span(""), F.lit(", fps="), fixed(F.col("fps"), 1), F.lit(", manifest="), "manifest", F.lit(", analysis="), "analysis")
+    again = looked_at.withColumn("line", said).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start_sec", "end_sec", "line"))).alias("_again"))
+    text = lambda lines, between="\n": F.coalesce(F.array_join(lines, between), F.lit(""))
+    sections = (
+        ("Overview", F.coalesce("overview", F.lit(""))), ("Candidates", text(F.transform("_found", one), "\n\n")), ("Ranges looked at again", text(F.col("_again.line"))),
+        ("Timeline", text(F.col("_found.line"))), ("Cautions", F.coalesce("cautions", F.lit(""))),
+    )
+    whole = F.concat_ws("\n\n", *(F.concat(F.lit(f"## {name}\n"), body) for name, body in sections))
+    return heads.join(ordered, key, "left").join(again, key, "left").select(*key, whole.alias("report"))
+
+
+def left_out() -> Column:
+    """Is not looked at again: neither of high priority nor asked for."""
+    return ~needs_detail()

@@ -18,8 +18,13 @@ MANIFEST = f"source struct<video_path: string, duration_sec: double>, extraction
 SUMMARY = "video string, config string, results array<struct<index: int, label: string, status: string, output: string, manifest_path: string, start_sec: double, end_sec: double>>"
 
 
+def plain_path(address: Column) -> Column:
+    """A file's address as a path: without escapes, and without ``file:``."""
+    return F.regexp_replace(F.url_decode(F.replace(address, F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
+
+
 def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=True).withColumn("file", F.col("_metadata.file_path"))
+    return spark.read.schema(schema).json(path, multiLine=True).withColumn("file", plain_path(F.col("_metadata.file_path")))
 
 
 def _need(holds: Column, what: str) -> Column:
@@ -41,9 +46,9 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """(position, manifest_path) of each result that has a manifest."""
-    rows = _documents(spark, path, SUMMARY).select(F.posexplode("results").alias("position", "r"))
-    return rows.select("position", F.col("r.manifest_path").alias("manifest_path")).where("coalesce(manifest_path, '') <> ''")
+    """(file, position, manifest_path) of each result that has a manifest."""
+    rows = _documents(spark, path, SUMMARY).select("file", F.posexplode("results").alias("position", "r"))
+    return rows.select("file", "position", F.col("r.manifest_path").alias("manifest_path")).where("coalesce(manifest_path, '') <> ''")
 
 
 def read_prompt(spark: SparkSession, path: str) -> DataFrame:
@@ -69,6 +74,31 @@ def parse_size(column: str) -> list[Column]:
 
 
 def read_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """Frame files of a folder with their numbers, taken as numbers and not as text."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "frame_*.jpg").load(folder)
-    return rows.withColumn("frame_index", F.regexp_extract("path", r"frame_(\d+)\.jpg$", 1).cast("int"))
+    """Frame files of a folder in the order of their numbers, taken as numbers and not as text.  A
+    folder without any is an error."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "frame_*.*").load(folder)
+    rows = rows.withColumn("frame_index", F.regexp_extract("path", r"frame_(\d+)\.\w+$", 1).cast("int"))
+    if rows.select("path").isEmpty():
+        raise ValueError(f"no frames in {folder}")
+    return rows.orderBy("frame_index")
+
+
+def read_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, width, height, content) of the image files of a folder, content as RGB bytes.  Spark's
+    reader gives blue, green, red; files that it can't read are left out."""
+    image = spark.read.format("image").option("dropInvalid", "true").load(folder).select("image.*").where("nChannels = 3")
+    turned = F.unhex(F.regexp_replace(F.hex("data"), "(..)(..)(..)", "$3$2$1"))
+    return image.select(F.col("origin").alias("path"), "width", "height", turned.alias("content"))
+
+
+def resolve_video(spark: SparkSession, video: str, config_folder: str, folder: str) -> str:
+    """Where a configuration's video is: as it stands if absolute, else in the configuration's
+    folder, else in ``folder``; one that is nowhere is an error."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    absolute = video.startswith("/") or "://" in video
+    for place in (video,) if absolute else (f"{config_folder.rstrip('/')}/{video}", f"{folder.rstrip('/')}/{video}"):
+        at = hadoop(place)
+        if at.getFileSystem(conf).exists(at):
+            return place
+    raise FileNotFoundError(f"no such video: {video}")
