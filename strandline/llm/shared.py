@@ -5,43 +5,76 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: dict[str, SparkSession] = {}
+_FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset (single-machine tests) a
-    temporary folder, which is then set as the session's checkpoint folder."""
+    """The session's ``spark.checkpoint.dir``.  Where that is unset, a single-machine session gets
+    a temporary folder, which is then its checkpoint folder; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="strandline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+@contextmanager
+def _shuffle_files_freed(spark: SparkSession):
+    """While it is open, the shuffle files of a query go as soon as its result is written."""
+    before = spark.conf.get(_FILE_CLEANUP, None)
+    spark.conf.set(_FILE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FILE_CLEANUP)
+        else:
+            spark.conf.set(_FILE_CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: later steps start
     from files, so a lost executor costs a reread and not the whole lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandline-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffle_files_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _WRITTEN[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def _delete(path: str) -> None:
+    context = _WRITTEN.pop(path).sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` returned, all readers of which have been written."""
+    for table in tables:
+        if table._written_at in _WRITTEN:
+            _delete(table._written_at)
 
 
 @atexit.register
 def _clean() -> None:
-    for path, spark in _WRITTEN.items():
+    for path in list(_WRITTEN):
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(path)
         except Exception:  # noqa: BLE001  the session has gone; the folder's owner clears it
-            return
+            continue
 
 
 def partitions(spark: SparkSession) -> int:

@@ -37,6 +37,18 @@ def test_removal(spark):
     assert suffix_dedup.remove_earlier_copies(frame(spark, [])).count() == 0
     again = suffix_dedup.remove_earlier_copies(frame(spark, rows))
     assert Counter(map(tuple, again.collect())) == want
+    # Keys of more than two entries dealt out by window, and texts over many segments.
+    split = suffix_dedup.remove_earlier_copies(frame(spark, rows), wide_from=2, block_bytes=1000)
+    assert Counter(map(tuple, split.collect())) == want
+
+
+def test_long_texts(spark):
+    """A text over several blocks, and a run of five million equal bytes with an earlier copy of some."""
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_200_000))
+    rows = [(1, "q" * 60), (2, "q" * 5_000_000), (3, "z" * 5_000_000), (4, "z" * 70 + "y"), (5, long), (6, long[600_000:] + "!" + long[:300])]
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_earlier_copies(frame(spark, rows)).collect()}
+    assert found == {1: (60, 0, 0), 2: (5_000_000, 5_000_000, 1), 3: (5_000_000, 0, 0), 4: (71, 70, 1), 5: (1_200_000, 0, 0), 6: (600_301, 600_300, 2)}
 
 
 def test_factors_of_windows():
