@@ -1,5 +1,6 @@
 """Operators that compare texts with other texts, against brute force."""
 
+import random
 from collections import Counter
 
 import brute
@@ -35,6 +36,36 @@ def test_ngram_classes(spark, base):
     assert ngram_join.ngram_classes(frame(spark, []), 4, 85).count() == 0
 
 
+@pytest.mark.parametrize("held", [32, 2])
+def test_group_of_near_copies(spark, monkeypatch, held):
+    """Hundreds of copies with few and with many edits, some without an id: no link is lost."""
+    monkeypatch.setattr(ngram_join, "HELD_AT_ONCE", held)
+    rng = random.Random(held)
+    first = [f"w{k}" for k in range(90)]
+    rows = []
+    for k in range(700):
+        words = list(first)
+        for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 3, 4, 6))):
+            at = rng.randrange(len(words))
+            words[at : at + rng.choice((0, 1, 1, 1, 2))] = [rng.choice((f"x{rng.randrange(900)}", f"y{at % 9}"))]
+        rows.append((None if k % 50 == 7 else 5000 + (k * 7919) % 700, " ".join(words)))
+    for n, percent in ((4, 85), (5, 80)):
+        named = [(-1 - k if i is None else i, t) for k, (i, t) in enumerate(rows)]  # brute force with ids for all
+        parts = Counter()
+        of = {}
+        for i, _, c in brute.ngram_classes(named, n, percent):
+            of[i] = c
+        least = {}
+        for i, c in of.items():
+            if i >= 0:
+                least[c] = min(least.get(c, i), i)
+        for k, (i, t) in enumerate(rows):
+            parts[i, len(brute.shingles(t, n)), least.get(of[named[k][0]])] += 1
+        assert len(set(of.values())) > 50
+        got = Counter(map(tuple, ngram_join.ngram_classes(frame(spark, rows), n, percent).collect()))
+        assert got == parts
+
+
 def test_decontamination(spark, base):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     long = " ".join(f"t{k}" for k in range(40))
