@@ -90,7 +90,7 @@ def frame_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = gridded(spark, sf_dir).select("source_id", "range_id", "frame_index", "timestamp_sec")
     rows = events(spark, sf_dir)
-    return sampling.nearest_before(grid, rows, "source_id", "timestamp_sec", "start", "range_id", "value")
+    return sampling.nearest_before(grid, rows, "source_id", "timestamp_sec", "start", "range_id", "value", stretch=500.0)
 
 
 def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
