@@ -154,7 +154,10 @@ def passes(policy: str | tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> Co
 
 def ablation(rows: DataFrame, policy: str | tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """For each rule of a policy: texts that fail it, and texts that only it rejects, from a count
-    of the ledger's distinct bit patterns (at most 2 to the number of rules)."""
+    of the ledger's distinct bit patterns (at most 2 to the number of rules).
+
+    ``rows`` has ``fail_bits``; a null there counts for no rule, repeated rows count each, other
+    columns are not read, and an empty table gives no rows."""
     whole = mask(policy, rules)
     patterns = rows.groupBy(F.col("fail_bits").bitwiseAND(F.lit(whole).cast("long")).alias("bits")).agg(F.count("*").alias("n"))
     named = [F.struct(F.lit(rule.name).alias("rule"), F.lit(1 << k).cast("long").alias("bit")) for k, rule in enumerate(rules) if whole >> k & 1]
@@ -167,11 +170,16 @@ def ablation(rows: DataFrame, policy: str | tuple[str, ...], rules: tuple[Rule,
 
 
 def judged(docs: DataFrame, policy: str = "corpus-2") -> DataFrame:
-    """The ledger with ``base_failed`` and ``kept``: the base rules and the policy's verdict."""
+    """The ledger with ``base_failed`` and ``kept``: the base rules and the policy's verdict.
+
+    Null and empty texts have no words and so are not kept; a text of any length is read whole.
+    Repeated rows are judged each; other columns are not read; an empty table gives no rows."""
     return ledger(docs).withColumn("base_failed", ~passes("base-1")).withColumn("kept", passes("base-1") & passes(policy))
 
 
 def kept(docs: DataFrame, policy: str = "corpus-2") -> DataFrame:
-    """The rows of ``docs`` that pass the base rules and the policy, with all their columns."""
+    """The rows of ``docs`` that pass the base rules and the policy, with all their columns, whatever
+    their names.  Null and empty texts do not pass, repeated rows pass or fail together, and an
+    empty table gives no rows."""
     passed = _with_bits(docs, RULES).where(passes("base-1") & passes(policy))
     return passed.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

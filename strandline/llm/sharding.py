@@ -104,7 +104,13 @@ def shuffle_into_shards(rows: DataFrame, key: list[str], shards: int, seed: int
 
 def sharded(docs: DataFrame, shards: int = 24, seed: int = 0) -> DataFrame:
     """Rows (doc_id, size, text_crc32, law, shard, slot, grown_shard), one for each row of
-    ``docs`` (doc_id, text); size is the text's UTF-8 bytes, none for null, plus 8."""
+    ``docs`` (doc_id, text); size is the text's UTF-8 bytes, none for null, plus 8.
+
+    The law is ``rows``: shards' row counts differ by one at most, whatever the sizes of the texts,
+    so ``grown_shard`` is null.  Null and empty texts and null ids are dealt as all rows are; equal
+    texts and repeated rows are told apart by their place in the input, so that the same rows in
+    other files are dealt otherwise.  Other columns are not read; an empty table gives no rows.
+    """
     digest = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
