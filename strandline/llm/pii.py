@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import json
 import random
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -305,14 +304,19 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 20, depth: int = 3, seed: in
     return Forest(tuple(trees), float(slope), float(offset), tuple(thresholds))
 
 
-@lru_cache(maxsize=4)
+#: Fitted forests by the number of training examples, from which they follow.
+_FITTED: dict[int, Forest] = {}
+
+
 def _fitted(spark: SparkSession, n: int) -> Forest:
+    if n in _FITTED:
+        return _FITTED[n]
     made = json.dumps(training_examples(n))
     rows = spark.range(1).select(F.explode(F.from_json(F.lit(made), "array<struct<text: string, s: int, e: int, y: int>>")).alias("m")).select("m.*")
     got = with_candidates(rows).select("s", "e", "y", F.explode("candidates").alias("c")).select("s", "e", "y", "c.start", "c.end", "c.f").orderBy("s", "e", "c.start", "c.f").collect()
     x = np.array([r["f"] for r in got])
     y = np.array([r["y"] if r["start"] < r["e"] and r["end"] > r["s"] else 0 for r in got], float)
-    return fit(x, y)
+    return _FITTED.setdefault(n, fit(x, y))
 
 
 def _tree_sql(tree, f: str) -> str:
@@ -366,7 +370,8 @@ def personal_data(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFr
 
 def redacted(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in square brackets; spans that
-    overlap are replaced as one.  Null texts stay null; other columns stay as they are."""
+    overlap are replaced as one.  Null texts stay null, empty ones empty; other columns stay as they
+    are, whatever their names; repeated rows change alike; an empty table gives no rows."""
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = with_spans(inner, training_rows)
