@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parts into which a host's pages are dealt, so that no host is one task.
-SALTS = 32
+from .shared import materialise
 
 # Element names of the HTML standard, by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,6 +30,10 @@ _AROUND_WORDS = "ad ads adv advert adverts advertisement advertising sponsor spo
 _MARK = frozenset(_AROUND_WORDS.split())
 # Those that also name a page's layout, where they may stand on a wrapper of the article.
 _LAYOUT = frozenset("banner notice notices alert overlay nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside rail header footer masthead topbar toolbar skip search tags toc".split())
+# Those that mark an element of text by themselves, whatever other words stand with them.
+_FOREIGN = frozenset("ad ads advert advertisement advertising sponsored promo cookie cookies consent gdpr newsletter disqus".split())
+#: Elements of text, which a name marks only if all its words do: "search-tips" is about a search.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dl dt dd ol ul figure figcaption table caption span em strong b i a code".split())
 _WRAPPERS = frozenset("div section td form".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A class that says whether the page has a part, not that the element is one.
@@ -45,13 +48,13 @@ _BLANKS = re.compile(r"\s+")
 
 
 class Node:
-    """An open element: its generalised path, whether it or one around it is no content, and
-    those of them, by number, that are softly marked."""
+    """An open element: its generalised path, whether it or one around it is no content, those of
+    them, by number, that are softly marked, and whether it is in a link."""
 
-    __slots__ = ("tag", "path", "around", "number", "soft")
+    __slots__ = ("tag", "path", "around", "number", "soft", "link")
 
-    def __init__(self, tag: str, path: str, around: bool, number: int, soft: tuple[int, ...] = ()) -> None:
-        self.tag, self.path, self.around, self.number, self.soft = tag, path, around, number, soft
+    def __init__(self, tag: str, path: str, around: bool, number: int, soft: tuple[int, ...] = (), link: bool = False) -> None:
+        self.tag, self.path, self.around, self.number, self.soft, self.link = tag, path, around, number, soft, link
 
 
 def _named(tag: str, attributes: str) -> tuple[str, int]:
@@ -64,6 +67,9 @@ def _named(tag: str, attributes: str) -> tuple[str, int]:
     style = found.get("class", "")
     classes = (c for c in style.lower().split() if not _STATE.fullmatch(c))
     said = " ".join((*classes, "" if tag in _HEADINGS else found.get("id", ""), found.get("role", ""))).lower()
+    if tag in _PROSE:
+        names = ((name, _WORDS.findall(name)) for name in said.split())
+        said = " ".join(name for name, own in names if own and (_MARK.issuperset(own) or own[0] in _FOREIGN))
     hidden = "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden", "").lower() == "true"
     first = _WORDS.findall(style.lower())
     marks = _MARK.intersection(_WORDS.findall(said))
@@ -141,7 +147,7 @@ class Page:
         if "&" in text:
             text = charrefs.unescape(text)
         self._text.append(text)
-        if any(n.tag == "a" for n in self.stack[-4:]):
+        if self.stack[-1].link:
             self._linked += len(text.strip())
 
     def _cut(self) -> None:
@@ -163,6 +169,8 @@ class Page:
                 self._until(tag, frozenset(("ul", "ol", "dl", "table", "div", "article", "section", "body")))
         elif tag == "br":
             self._text.append(" ")
+        elif tag == "a":  # links don't nest: one that was left open ends here
+            self._until("a", BLOCK)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             return
         name, marked = _named(tag, attributes)
@@ -177,7 +185,7 @@ class Page:
         soft = (*above.soft, self.count) if marked == SOFT or tag == "form" else above.soft
         if tag in ("article", "main") and not around:
             self._articles.append(soft)
-        self.stack.append(Node(tag, path if tag in HOLDERS else above.path, around, self.count, soft))
+        self.stack.append(Node(tag, path if tag in HOLDERS else above.path, around, self.count, soft, above.link or tag == "a"))
 
     def _until(self, tag: str, stops: frozenset[str]) -> None:
         """Close ``tag`` where its end tag may be left out."""
@@ -206,7 +214,7 @@ class Page:
                 continue
             for depth, node in enumerate(reversed(holders)):
                 kind = 4.0 if node.tag == "article" else 2.0 if node.tag == "main" else 1.0
-                found[node.path] = found.get(node.path, 0.0) + kind * worth / (1 << min(depth, 20))
+                found[node.path] = found.get(node.path, 0.0) + kind * worth * 0.5**depth
         return found
 
     def _under(self, path: str) -> list[int]:
@@ -276,7 +284,8 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def winning_paths(pages: DataFrame) -> DataFrame:
     """One row (site, path) for each host with any content: the path with most votes; ties go to
-    the path that comes first."""
+    the path that comes first.  Pages with null or empty html have no vote, a repeated page votes
+    each time, pages without a url are one host, and an empty table gives no rows."""
     votes = pages.select(host(F.col("url")).alias("site"), F.col("html").cast("string").alias("html")).mapInArrow(_score, "site string, path string, score double, pages long")
     summed = votes.groupBy("site", "path").agg(F.sum(F.col("score").cast("decimal(30,6)")).alias("score"))
     best = summed.groupBy("site").agg(F.max("score").alias("score"))
@@ -292,11 +301,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     returned; other columns are not read; an empty table gives no rows.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    won = winning_paths(pages).withColumn("_salt", salts)
+    # A table of one row a host: Spark broadcasts it if its size allows, and else splits large hosts.
+    won = materialise(winning_paths(pages), "winning-paths")
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("site"))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    told = rows.join(won, ["site", "_salt"], "left").select("page_id", "url", "html", "path")
+    told = rows.join(won, "site", "left").select("page_id", "url", "html", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -248,3 +248,32 @@ def test_text_around_the_winning_path(spark):
     second = (99, "http://a.org/", f"<body>{ASIDE[0]}<div class='story'><p>Summary</p></div><div class='report'>{BODY}</div></body>")
     found = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame([*first, second], "page_id long, url string, html string")).collect()}
     assert found[0].split("\n") == found[99].split("\n") == PROSE
+
+
+def test_names_of_prose():
+    """A paragraph's class is about its text; adverts and the like still go, and deep links are links."""
+    body = "<p class='search-tips'>Tips.</p><p class='side-note'>Note.</p><p class='tags-explained'>Tags.</p><p class='ad'>Buy.</p><p class='advert-label'>Now.</p><ul class='share'><li>Share</li></ul><p>End.</p>"
+    assert html_main.Page(f"<body><article><h1>T</h1>{body}</article></body>").text("/body/article") == "T\nTips.\nNote.\nTags.\nEnd."
+    deep = html_main.Page("<div><a href=x><span><b><i><u><s>one two</s></u></i></b></span></a></div><p><a href=y>left open<p>after")
+    assert [(t, n) for t, _, n in deep.blocks] == [("one two", 7), ("left open", 9), ("after", 0)]
+
+
+def test_vote_against_a_page(spark):
+    """A page whose comments-like list outweighs its text is read where its host's pages have theirs."""
+    page = lambda text, more: f"<body>{ASIDE[0]}<div class='story'><p>{text}</p></div><div class='stream'><p>{more}</p></div></body>"
+    rows = [(k, "http://h.org/x", page(f"Story {k} " + "words of it " * 20, "Short.")) for k in range(8)]
+    rows.append((8, "http://h.org/x", page("Story 8 " + "words of it " * 10, "other talk " * 18)))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    own = html_main.Page(rows[8][2])
+    assert max(own.scores(), key=own.scores().get) == "/body/div.stream"
+    assert next(r.path for r in html_main.winning_paths(frame).collect()) == "/body/div.story"
+    assert {r.page_id: r.text for r in html_main.main_text(frame).collect()}[8] == ("Story 8 " + "words of it " * 10).strip()
+    assert own.text("/body/div.stream").startswith("other talk")
+
+
+def test_long_and_repeated_pages(spark):
+    long = "<body><article>" + "".join(f"<p>Line {k} of it.</p>" for k in range(60_000)) + "</article></body>"
+    rows = [(1, "http://a.org", long), (2, "http://a.org", "<article><p>x</p></article>"), (2, "http://a.org", "<article><p>x</p></article>")] + [(k, "http://a.org", f"<article><p>Page {k}</p></article>") for k in range(10, 400)]
+    found = html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == len(rows) and [r.text for r in found if r.page_id == 2] == ["x", "x"]
+    assert next(r for r in found if r.page_id == 1).text == "\n".join(f"Line {k} of it." for k in range(60_000))
