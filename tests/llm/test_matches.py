@@ -66,6 +66,27 @@ def test_group_of_near_copies(spark, monkeypatch, held):
         assert got == parts
 
 
+def test_pairs_are_tables(spark, monkeypatch):
+    """No plan both finds pairs and counts their overlaps, so that the driver holds small plans."""
+    calls, overlaps = [], ngram_join._overlaps
+
+    def counted(pairs, sets, percent):
+        calls.append(getattr(pairs, "_written_at", None))
+        return overlaps(pairs, sets, percent)
+
+    monkeypatch.setattr(ngram_join, "_overlaps", counted)
+    rng = random.Random(5)
+    rows = []
+    for k in range(80):
+        words = [f"w{j}" for j in range(90)]
+        for _ in range(3):
+            words[rng.randrange(90)] = f"x{rng.randrange(40)}"
+        rows.append((k, " ".join(words)))
+    got = {tuple(r) for r in ngram_join.ngram_classes(frame(spark, rows), 4, 85).collect()}
+    assert got == set(brute.ngram_classes(rows, 4, 85))
+    assert len(calls) >= 3 and all(calls)
+
+
 def test_decontamination(spark, base):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     long = " ".join(f"t{k}" for k in range(40))
