@@ -21,3 +21,22 @@ def test_materialise_sends_small_batches(spark):
             assert (found, count, spark.conf.get(key)) == (most, 5000, rows)
     finally:
         spark.conf.set(key, before)
+
+
+def test_small_tables_are_few_files(spark, tmp_path):
+    """A small table that many tasks make is one file, with all its rows; larger ones have as many
+    as their sources' bytes warrant, and sources of unknown size leave the partitions as they are."""
+    source = str(tmp_path / "source")
+    spark.range(0, 3000, 1, 1).write.parquet(source)
+    rows = spark.read.parquet(source)
+    for many in (rows.repartition(97, "id"), rows.repartition(97, "id").groupBy("id").count().select("id")):
+        table = shared.materialise(many, "small")
+        assert len(table.inputFiles()) == 1
+        assert sorted(r.id for r in table.collect()) == list(range(3000))
+    cores = spark.sparkContext.defaultParallelism
+    for size, most in ((3 * shared.SOURCE_BYTES_A_CORE, min(3, cores) + 1), ((cores + 5) * shared.SOURCE_BYTES_A_FILE, cores + 6)):
+        known = spark.range(0, size // 8, 1, 200)  # 8 bytes a row
+        assert shared.gathered(known).rdd.getNumPartitions() == most
+    unknown = spark.createDataFrame(spark.sparkContext.parallelize([(k,) for k in range(40)], 20), "id long")
+    assert shared.gathered(unknown).rdd.getNumPartitions() == 20
+    assert shared.gathered(unknown, rows).rdd.getNumPartitions() == 1
