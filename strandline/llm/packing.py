@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, sparing_batches
 from .token_count import byte_symbols
 
 #: Parts of texts whose ids a worker remembers.
@@ -197,6 +197,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, wit
     end = np.asarray([end_id], "<u4").tobytes()
     wide = 4 * capacity
 
+    @sparing_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(file.value)
         for batch in batches:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import sparing_batches
 from .textnum import BLANKS, Chunk, chunks, mix, ngrams, words
 
 
@@ -110,6 +111,7 @@ def measure(chunk: Chunk) -> dict[str, np.ndarray]:
     }
 
 
+@sparing_batches
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows' structs as they are, with the measurements of the ``text`` in them."""
     for batch in batches:

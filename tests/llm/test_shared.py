@@ -1,7 +1,15 @@
 """Tables between steps."""
 
+import os
+
+import numpy as np
 import pyarrow as pa
-from strandline.llm import shared
+from strandline.llm import quality, shared
+
+
+def _resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
 
 
 def test_materialise_sends_small_batches(spark):
@@ -40,3 +48,19 @@ def test_small_tables_are_few_files(spark, tmp_path):
     unknown = spark.createDataFrame(spark.sparkContext.parallelize([(k,) for k in range(40)], 20), "id long")
     assert shared.gathered(unknown).rdd.getNumPartitions() == 20
     assert shared.gathered(unknown, rows).rdd.getNumPartitions() == 1
+
+
+def test_python_functions_give_back_memory(monkeypatch):
+    """What a function has freed goes back to the system when its rows are through."""
+    held = [np.ones(2000) for _ in range(12_000)]  # 190 MB, too small each to be mapped
+    pins = held[::500]
+    full = _resident()
+    del held
+    shared.give_back()
+    assert pins and full - _resident() > 100_000_000
+
+    calls = []
+    monkeypatch.setattr(shared, "give_back", lambda: calls.append(1))
+    row = pa.StructArray.from_arrays([pa.array([1, 2]), pa.array(["a b", None])], ["doc_id", "text"])
+    batches = [pa.RecordBatch.from_arrays([row], ["row"])] * 2
+    assert sum(b.num_rows for b in quality._measured(iter(batches))) == 4 and calls == [1]
