@@ -64,3 +64,18 @@ def test_python_functions_give_back_memory(monkeypatch):
     row = pa.StructArray.from_arrays([pa.array([1, 2]), pa.array(["a b", None])], ["doc_id", "text"])
     batches = [pa.RecordBatch.from_arrays([row], ["row"])] * 2
     assert sum(b.num_rows for b in quality._measured(iter(batches))) == 4 and calls == [1]
+
+
+def test_driver_gives_back(spark):
+    """A heap that has grown with little of it alive shrinks when a table is written."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    gateway, held = spark.sparkContext._gateway, []
+    shared._HEAP_KEPT.clear()
+    while heap.totalMemory() <= shared.HEAP_SHARE * heap.maxMemory():
+        held.append(gateway.new_array(gateway.jvm.long, 8 << 20))
+    grown = heap.totalMemory()
+    for array in held:
+        gateway.detach(array)
+    del held
+    assert shared.materialise(spark.range(10), "given-back").count() == 10
+    assert heap.totalMemory() < grown and list(shared._HEAP_KEPT) == [spark.sparkContext.applicationId]
